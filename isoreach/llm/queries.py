@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoreach.llm import simhash, warc
+from isoreach.llm import flac, langid, quality, simhash, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op5_flac_media"] = op5_flac_media
+QUERIES["op7_language_id"] = op7_language_id
+QUERIES["op10_quality_mil"] = op10_quality_mil
 QUERIES["op2_simhash_near_dedup"] = op2_simhash_near_dedup
 QUERIES["op8_warc"] = op8_warc
 SQL["op8_warc"] = warc.SQL
