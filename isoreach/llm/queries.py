@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoreach.llm import flac, langid, quality, simhash, warc
+from isoreach.llm import decontam, flac, langid, pieces, quality, simhash, tokens, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +46,9 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+QUERIES["op1_simhash_decontamination"] = op1_simhash_decontamination
+QUERIES["op4_sentencepiece"] = op4_sentencepiece
+QUERIES["op6_token_counts"] = op6_token_counts
 QUERIES["op5_flac_media"] = op5_flac_media
 QUERIES["op7_language_id"] = op7_language_id
 QUERIES["op10_quality_mil"] = op10_quality_mil
