@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoreach.llm import decontam, flac, langid, pieces, quality, simhash, tokens, warc
+from isoreach.llm import decontam, flac, langid, passages, pieces, quality, simhash, suffixes, tokens, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,10 @@ def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"))
 
@@ -42,11 +46,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES["op1_simhash_decontamination"] = op1_simhash_decontamination
+QUERIES["op3_suffix_dedup"] = op3_suffix_dedup
+QUERIES["op9_substring_dedup"] = op9_substring_dedup
 QUERIES["op4_sentencepiece"] = op4_sentencepiece
 QUERIES["op6_token_counts"] = op6_token_counts
 QUERIES["op5_flac_media"] = op5_flac_media
