@@ -27,7 +27,7 @@ from isoreach.llm.common import map_arrow
 WIDTH, LEAST, RADIUS = 5, 0.8, 23
 #: Words of benchmark items that one pass holds; more items are passed in blocks.
 ITEM_WORDS = 2_000_000
-CACHE = 300_000
+CACHE = 80_000
 _STRIP = " .,;:!?'\"()[]{}«»“”‘’…-"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 _seen: dict[str, int] = {}
