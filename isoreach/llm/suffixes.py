@@ -35,7 +35,7 @@ from isoreach.llm.common import map_arrow, materialize, texts_of
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
 #: Bytes of a chunk, windows hashed at once, anchors of a hash range.
-CHUNK, BLOCK, RANGE = 4 << 20, 1 << 20, 1 << 18
+CHUNK, BLOCK, RANGE = 4 << 20, 1 << 18, 1 << 18
 FULL = (1 << SPAN) - 1
 #: Stands for a null id: larger than all ids.
 LAST = (1 << 63) - 1
