@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash windows.
 
 Words are lower-cased and stripped of punctuation at their ends; shingles are
-five words. Over a document slides a window of each item's size in words, and
-gets a SimHash of its shingles. An index of eight Hamming blocks of eight bits
-finds all items within RADIUS bits: at most RADIUS / 8 bits differ in one of
-the blocks, and a table holds, for each byte, the items that near. What it
-finds is verified by the exact weighted Jaccard similarity of the shingles.
+five words. Over a document slides a window of each item's size in words, or of
+the whole document where that is shorter, and gets a SimHash of its shingles.
+An index of eight Hamming blocks of eight bits finds all items within RADIUS
+bits: at most RADIUS / 8 bits differ in one of the blocks, and a table holds,
+for each byte, the items that near. What it finds is verified by the exact
+weighted Jaccard similarity of the shingles.
 
 Only windows that share a shingle with the item can reach any similarity above
 zero, so windows are laid around shared shingles alone; none else is lost.
@@ -134,9 +135,10 @@ class Index:
             place = np.repeat(maybe, reps)
             sizes = of[np.repeat(lo - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
             for n in np.unique(sizes).tolist():
-                if len(words) < n:
+                m = min(n - w + 1, len(sh))  # shingles of a window: the whole document where it is shorter than the item
+                if m < least * (n - w + 1):
                     continue
-                m = n - w + 1  # shingles of a window
+                size = m + w - 1
                 p = place[sizes == n]
                 cover = np.zeros(len(sh) + 1, np.int32)
                 np.add.at(cover, np.maximum(p - m + 1, 0), 1)
@@ -150,7 +152,7 @@ class Index:
                                 a = int(part[x])
                                 sim = similarity(sh[a : a + m], self.items[j][2])
                                 if sim >= least:
-                                    found.append((int(j), a, n, int(d), sim))
+                                    found.append((int(j), a, size, int(d), sim))
         out: list[tuple[int, int, int, int, float]] = []
         taken: dict[int, list[tuple[int, int]]] = {}
         for j, a, n, d, sim in sorted(found, key=lambda f: (-f[4], f[1], f[0])):

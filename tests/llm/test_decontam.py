@@ -71,3 +71,29 @@ def test_edges(spark):
 def test_shingles(n):
     w = dc.word_hashes(" ".join("abcdefghi"[:n]))
     assert len(dc.shingles(w)) == max(1, n - 4)
+
+
+def brute_short(text, items, least=0.8):
+    """As brute, with the whole document as the window where it is shorter than the item."""
+    words = dc.word_hashes(text)
+    out = brute(text, items, least)
+    for i, t in items:
+        w = dc.word_hashes(t)
+        if 0 < len(words) < len(w) and dc.similarity(dc.shingles(words, min(5, len(w))), dc.shingles(w)) >= least and len(words) >= min(5, len(w)):
+            out.add(i)
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = random.Random(11)
+    items = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(r.choice([4, 5, 6, 30, 50, 60])))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        words = t.split()
+        for a, b in ((0, 1), (1, 0), (2, 3), (4, 7), (6, 9)):
+            docs.append((len(docs), " ".join(words[a : len(words) - b])))
+    want = {(d, i) for d, t in docs for i in brute_short(t, items)}
+    assert len(want) > 30
+    rows = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == want
+    assert all(x["first_word"] == 0 and x["n_words"] == len(docs[x["doc_id"]][1].split()) for x in rows if (x["doc_id"], x["item_id"]) in want - {(d, i) for d, t in docs for i in brute(t, items)})
