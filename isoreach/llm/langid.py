@@ -160,6 +160,24 @@ class Model:
         share = count[k] / len(p)
         return self.langs[k], float(share * max(sure, 0.5 if share > 0.5 else sure))
 
+    def known(self, text: str | None) -> float:
+        """The share of lettered words that have a candidate language by script and whose n-grams the text's language has learned, on average, better than chance; of the language that has most."""
+        words = words_of(text)
+        plain = [p for p in map(bare, words) if p]
+        if not plain or not self.langs:
+            return 0.0
+        kinds = list(dict.fromkeys(plain))
+        can = self.uses[[script(p[0]) for p in kinds]]
+        g, who = _grams(kinds)
+        # nats of an n-gram over one that was never seen and all are as likely
+        gain = self.table[g] + np.log(BUCKETS)
+        n = np.bincount(who, minlength=len(kinds))
+        each = np.stack([np.bincount(who, weights=gain[:, k], minlength=len(kinds)) / n for k in range(len(self.langs))], 1)
+        count = Counter(plain)
+        weight = np.array([count[w] for w in kinds], np.float64)
+        ok = can & (each > 0)
+        return float((weight[:, None] * ok).sum(0).max() / weight.sum())
+
 
 def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from rows with a language and a text, of those where ``train`` holds. No rows give a model without languages."""
