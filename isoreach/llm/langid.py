@@ -2,7 +2,7 @@
 
 The model is a table of log probabilities of hashed n-grams: BUCKETS rows, a
 column for each language. It is summed over all training rows of a sample of
-at most FIT_ROWS, drawn by a hash of the id.
+about FIT_ROWS, as many of each language, drawn by a hash of the id.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from isoreach.llm.common import crc_rest, map_arrow
 
 BUCKETS = 1 << 15
-#: Rows that the model is fitted on at most, about; and languages, by rows.
-FIT_ROWS, MAX_LANGS = 20_000, 64
+#: Rows that the model is fitted on, about, shared equally by the languages; and those that a language has at least, where there are as many.
+FIT_ROWS, LEAST_ROWS = 20_000, 500
 #: Nats that a change of language costs; what n-grams that overlap are divided by.
 PENALTY, OVERLAP = 16.0, 3.0
 #: Words whose scores a task remembers.
@@ -182,12 +182,13 @@ class Model:
 def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from rows with a language and a text, of those where ``train`` holds. No rows give a model without languages."""
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if train is None else train).alias("ok")).filter("ok AND lang IS NOT NULL")
-    by = sorted(d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect(), key=lambda r: r["lang"])
+    by = sorted(d.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     langs = [r["lang"] for r in by]
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((SCRIPTS, 0), bool))
-    share = min(1.0, fit_rows / sum(r["count"] for r in by))
-    chosen = d.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text", "lang")
+    rows = max(LEAST_ROWS, fit_rows // len(langs))
+    shares = d.sparkSession.createDataFrame([(r["lang"], int(1_000_000_000 * min(1.0, rows / r["count"]))) for r in by], "lang string, share long")
+    chosen = d.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < F.col("share")).select("text", "lang")
     place = {k: i for i, k in enumerate(langs)}
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", la
                 at = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place[lang], np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[at])], ["lang", "bucket", "n"])
 
-    # at most (BUCKETS + SCRIPTS) * MAX_LANGS rows come to the driver
+    # at most BUCKETS + SCRIPTS rows of each language come to the driver
     rows = map_arrow(chosen, run, "lang int, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros((BUCKETS + SCRIPTS, len(langs)))
     count[rows["bucket"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()

@@ -81,3 +81,13 @@ def test_quality_edges(spark):
         got = quality.classify(docs, labels).collect()
         assert len(got) == 6 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_many_languages(spark):
+    """No language is left out, however many there are and however rare it is."""
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x", f"l{i:03}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs).langs == [r[2] for r in rows]
+    more = spark.range(40_000).selectExpr("id AS doc_id", "'the cat sat' AS text", "'en' AS lang").unionByName(spark.createDataFrame([(10**6, "мир", "ru")], docs.schema))
+    m = langid.fit(more, fit_rows=1000)
+    assert m.langs == ["en", "ru"] and m.predict("мир")[0] == "ru" and m.uses[3].tolist() == [False, True]
