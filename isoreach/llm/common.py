@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,18 +44,69 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that materialize wrote and no later plan reads."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows of a key from which on, or from a 100,000th of all on, it is hot.
+HOT = 10_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with a table of one row a key, in which ``count`` is the number of its rows in ``big``.
+
+    Fewer than 100,000 keys can have a 100,000th of the rows, so the rows of hot
+    keys meet a broadcast of that bound where they lie; only the others are
+    shuffled, and none of their keys is large.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(HOT, total // 100_000)
+    first = big.join(F.broadcast(small.filter(hot)), key)
+    rest = big.join(F.broadcast(small.filter(hot).select(key)), key, "left_anti").join(small.filter(~hot), key)
+    return first.unionByName(rest)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """f over record batches, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield from f(b)
+            yield from f(b)
+
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """f over all batches of a partition; what a worker keeps is given back at the end of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(b for b in batches if b.num_rows)
+        finally:
+            give_back()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+#: Caches of a worker that outlive a task; all are emptied at its end.
+CACHES: list[dict | list] = []
+
+
+def give_back() -> None:
+    """Empties caches and returns freed memory: a worker lives on after its task, and the next may be another."""
+    for c in CACHES:
+        c.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(col)).cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import map_arrow
+from isoreach.llm.common import CACHES, map_arrow
 
 WIDTH, LEAST, RADIUS = 5, 0.8, 23
 #: Words of benchmark items that one pass holds; more items are passed in blocks.
@@ -32,6 +32,7 @@ CACHE = 80_000
 _STRIP = " .,;:!?'\"()[]{}«»“”‘’…-"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 _seen: dict[str, int] = {}
+CACHES.append(_seen)
 
 
 def word_hashes(text: str | None) -> np.ndarray:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import map_arrow, materialize, texts_of
+from isoreach.llm.common import CACHES, map_arrow, materialize, texts_of
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
@@ -41,6 +41,7 @@ FULL = (1 << SPAN) - 1
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
+CACHES.append(_powers)
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
