@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,9 +17,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a local one where that is unset, as in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode, as in tests, and an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file:///tmp/isoreach-shared"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -56,17 +59,18 @@ def drop_table(df: DataFrame) -> None:
 HOT = 10_000
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join of rows with a table of one row a key, in which ``count`` is the number of its rows in ``big``.
+def hot_join(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Inner or left join of rows with a table of one row a key, in which ``count`` is the number of its rows in ``big``.
 
     Fewer than 100,000 keys can have a 100,000th of the rows, so the rows of hot
     keys meet a broadcast of that bound where they lie; only the others are
     shuffled, and none of their keys is large.
     """
-    total = small.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = small.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > max(HOT, total // 100_000)
     first = big.join(F.broadcast(small.filter(hot)), key)
-    rest = big.join(F.broadcast(small.filter(hot).select(key)), key, "left_anti").join(small.filter(~hot), key)
+    rest = big.join(F.broadcast(small.filter(hot).select(key)), key, "left_anti").join(small.filter(~hot), key, how)
     return first.unionByName(rest)
 
 
@@ -129,27 +133,29 @@ def crc_rest(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (u, v); only nodes that have an edge to another.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable over edges (u, v), of the nodes for which it is another.
 
     Alternating large and small stars, each a pre-aggregated minimum joined to
-    the edges; edges are written to the shared folder each round, and only
-    their count and a hash sum come to the driver.
+    the edges, those of hubs by a broadcast of the few hubs; edges are written
+    to the shared folder each round, and only their count and a hash sum come
+    to the driver. Rounds go on until the edges stay as they are.
     """
     e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if now == seen or not now[0]:
             break
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both, low, "u", "n", total=2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "u", "n", total=2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        last, e = e, materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        drop_table(last)
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 

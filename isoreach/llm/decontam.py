@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import CACHES, map_arrow
+from isoreach.llm.common import CACHES, map_arrow, materialize
 
 WIDTH, LEAST, RADIUS = 5, 0.8, 23
 #: Words of benchmark items that one pass holds; more items are passed in blocks.
 ITEM_WORDS = 2_000_000
 CACHE = 80_000
+#: Pairs of window and item that are marked at once.
+_CELLS = 1 << 21
 _STRIP = " .,;:!?'\"()[]{}«»“”‘’…-"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 _seen: dict[str, int] = {}
@@ -111,14 +113,18 @@ class Index:
 
     def candidates(self, fps: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, Hamming distance) of all items of n words within the radius."""
-        hit = np.zeros((len(fps), len(self.kinds[n])), bool)
-        for b, t in enumerate(self.tables[n]):
-            hit |= t[(fps >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)]
-        w, i = np.nonzero(hit)
-        i = self.kinds[n][i]
-        d = np.bitwise_count(fps[w] ^ self.fps[i])
-        ok = d <= self.radius
-        return w[ok], i[ok], d[ok]
+        out, step = [], max(1, _CELLS // len(self.kinds[n]))
+        for s in range(0, len(fps), step):
+            part = fps[s : s + step]
+            hit = np.zeros((len(part), len(self.kinds[n])), bool)
+            for b, t in enumerate(self.tables[n]):
+                hit |= t[(part >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)]
+            w, i = np.nonzero(hit)
+            i = self.kinds[n][i]
+            d = np.bitwise_count(part[w] ^ self.fps[i])
+            ok = d <= self.radius
+            out.append((w[ok] + s, i[ok], d[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def search(self, words: np.ndarray, least: float = LEAST) -> list[tuple[int, int, int, int, float]]:
         """(item, first word, words, Hamming distance, similarity): of each item the best windows that don't overlap."""
@@ -195,8 +201,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
         return map_arrow(d, run, f"doc_id {idt}, item_id long, first_word long, n_words int, hamming int, similarity double")
 
     out = None
+    if blocks > 1:  # dealt by row, for many rows may have one id
+        b = materialize(b.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), "items")
     for k in range(blocks):
-        part = b if blocks == 1 else b.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = b if blocks == 1 else b.filter(F.col("block") == k)
         found = against([(r["item_id"], word_hashes(r["text"])) for r in part.collect()])
         out = found if out is None else out.unionByName(found)
     return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import map_arrow, slices, texts_of
+from isoreach.llm.common import map_arrow, materialize, slices, texts_of
 
 BLOCK = 4096
 RATE = 8000
@@ -521,5 +521,5 @@ def pcm_blocks(media: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Encode all texts as media, then decode the media bytes, in Python processes of their own. Rows with equal texts have equal values; null is an empty text; ids may repeat or be null."""
-    return digests(media_column(docs))
+    """Store all texts as a media column in the shared folder, then read the stored bytes back. Rows with equal texts have equal values; null is an empty text; ids may repeat or be null; a text may be of any length."""
+    return digests(materialize(media_column(docs), "media"))

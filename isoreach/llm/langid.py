@@ -7,13 +7,13 @@ about FIT_ROWS, as many of each language, drawn by a hash of the id.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ CACHE = 200_000
 RANGES = [(0x41, 1), (0x250, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 0), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 13), (0xFB00, 1), (0xFB50, 6), (0xFE00, 0), (0x20000, 13)]
 _STARTS = [a for a, _ in RANGES]
 SCRIPTS = 14
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def script(ch: str) -> int:
@@ -109,12 +109,21 @@ class Model:
         return np.where((idx > 0)[:, None], rows[np.maximum(idx - 1, 0)], np.float32(0)), idx > 0
 
     def path(self, s: np.ndarray) -> np.ndarray:
-        """The best language of each word: Viterbi. Where no language gains as much as the penalty over any stretch against the best of the whole, the path is that one throughout."""
+        """The best language of each word: Viterbi.
+
+        A path that leaves the best language of the whole and comes back pays a
+        penalty more than it has stretches, and one that ends elsewhere as many;
+        so none pays where no stretch of one language gains over the penalty.
+        One that never has the best language pays one less than its stretches:
+        it is worth nothing where, beside that, the best beginning and the best
+        end together gain no more than the penalty. Then the path is the best
+        language throughout.
+        """
         total = s.sum(0, dtype=np.float64)
         best = int(total.argmax())
         gain = np.cumsum(s.astype(np.float64) - s[:, best : best + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if ((gain - low).max() if len(s) else 0) <= self.penalty:
+        if not len(s) or ((gain - low).max() <= self.penalty and max(gain.max(), 0) + (gain[-1] - low).max() <= self.penalty):
             return np.full(len(s), best)
         back = np.empty(s.shape, np.int16)
         v = np.zeros(s.shape[1])
@@ -230,6 +239,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): fitted on documents whose crc32 of the id isn't a multiple of five, predicted for all. A null id is never trained on and isn't held out."""
+    """(doc_id, held_out, lang_pred, score): fitted on documents whose crc32 of the id isn't a multiple of five, predicted for all. A null id is never trained on and isn't held out. Repeated rows count as often in training and have a row each; texts may be of any length; other columns play no part."""
     model = fit(docs, crc_rest("doc_id", 5) != 0)
     return predict(docs, model).select("doc_id", F.coalesce(crc_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

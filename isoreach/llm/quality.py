@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, fit_
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())], ["doc_id", "quality", "bag"])
 
     # bounded by FIT_ROWS documents
-    rows = map_arrow(d.select("doc_id", "text", "quality"), run, "doc_id long, quality int, bag binary").toArrow().sort_by("doc_id")
+    rows = map_arrow(d.select("doc_id", "text", "quality"), run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, quality int, bag binary").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES).astype(np.float32) for x in rows["bag"].to_pylist()]
     return train(bags, rows["quality"].to_numpy().astype(np.float32))
 

@@ -9,8 +9,9 @@ shared positional bytes of each pair are tallied, pairs with fewer than five
 are dropped, and the rest is verified by Hamming distance. A list gives a
 spanning forest of its links and not all pairs. A list of over MOST
 fingerprints is dealt anew by five bytes; those that share five bytes differ
-in 24 bits only, and a table of those finds all links in time linear in the
-list, whatever its length.
+in 24 bits only. Short lists of those are compared pair by pair; for long ones
+a table of the 24-bit values, one for all lists of a task, finds all links in
+time linear in the list.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import components, map_arrow, materialize, run_bounds, texts_of
+from isoreach.llm.common import components, hot_join, map_arrow, map_batches, materialize, run_bounds, texts_of
 
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 #: Fingerprints of a list that are compared pair by pair.
@@ -112,6 +113,10 @@ def forest(fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shared = (np.ascontiguousarray(x).view(np.uint8).reshape(len(fps), len(fps), 8) == 0).sum(2)
     near = shared >= LEAST_BYTES
     near[near] = np.bitwise_count(x[near]) <= RADIUS
+    return _spread(near, nodes)
+
+
+def _spread(near: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     label = nodes.copy()
     while True:
         new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(1)
@@ -125,9 +130,15 @@ def forest(fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FLIPS = np.array([0, *[sum(1 << b for b in c) for n in range(1, RADIUS + 1) for c in combinations(range(24), n)]], np.uint32)
 
 
-def forest24(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As forest, for any number of 24-bit values: each looks up its neighbours in a table of all values."""
-    table = np.full(1 << 24, np.iinfo(np.int64).max, np.int64)
+def forest24(values: np.ndarray, nodes: np.ndarray, tables: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As forest, for 24-bit values: up to MOST are compared pair by pair; of more, each looks up its neighbours in a table of all values, which ``tables`` keeps for the next list."""
+    if len(values) <= MOST:
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= RADIUS
+        return _spread(near, nodes)
+    tables = [] if tables is None else tables
+    if not tables:
+        tables.append(np.full(1 << 24, np.iinfo(np.int64).max, np.int64))
+    table = tables[0]
     np.minimum.at(table, values, nodes)
     label = table[values]
     while True:
@@ -139,6 +150,7 @@ def forest24(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndar
             break
         label = new
         table[values] = label
+    table[values] = np.iinfo(np.int64).max
     far = label != nodes
     return nodes[far], label[far]
 
@@ -183,8 +195,9 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of lists that share five bytes; the key's top byte says which, the value is in the other three."""
+    tables: list[np.ndarray] = []
     for key, value, node, at in _runs(batches):
-        out = [forest24(value[at[i] : at[i + 1]].astype(np.uint32), node[at[i] : at[i + 1]]) for i in np.flatnonzero(np.diff(at) > 1)]
+        out = [forest24(value[at[i] : at[i + 1]].astype(np.uint32), node[at[i] : at[i + 1]], tables) for i in np.flatnonzero(np.diff(at) > 1)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["u", "v"])
 
@@ -194,7 +207,7 @@ FIVES = list(combinations(range(8), 5))
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints (fp, node) just as all pairs within three bits would."""
-    first = materialize(_keyed(nodes).repartition("key").sortWithinPartitions("key").select("key", "fp", "node").mapInArrow(_first, "u long, v long, kind long"), "links")
+    first = materialize(map_batches(_keyed(nodes).repartition("key").sortWithinPartitions("key").select("key", "fp", "node"), _first, "u long, v long, kind long"), "links")
     edges = first.filter("kind = 0").select("u", "v")
     if not first.filter("kind > 0").limit(1).count():
         return edges
@@ -211,7 +224,7 @@ def links(nodes: DataFrame) -> DataFrame:
         a = F.array(*[s for k, s in out if k == t])
         arrays = F.when(F.col("kind") == t, a) if arrays is None else arrays.when(F.col("kind") == t, a)
     keyed = long.select("node", F.explode(arrays).alias("s")).select("s.key", "s.value", "node").distinct()
-    return edges.unionByName(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_second, "u long, v long"))
+    return edges.unionByName(map_batches(keyed.repartition("key").sortWithinPartitions("key"), _second, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -224,8 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row each. Other columns of docs play no part.
     """
     fp = materialize(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    comp = components(links(nodes.filter("node IS NOT NULL")))
-    named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("rows")), "nodes")
+    comp = components(links(nodes.filter("node IS NOT NULL").select("fp", "node")))
+    named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "rows")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fp.join(named, "fp").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+    return hot_join(fp, named, "fp", "rows").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import CACHES, map_arrow, materialize, texts_of
+from isoreach.llm.common import CACHES, map_arrow, map_batches, materialize, texts_of
 
 LENGTH, GRAM = 50, 26
 SPAN = LENGTH - GRAM + 1
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id", text_col:
             yield row()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(d.mapInArrow(run, "chunk string, ids binary, sizes binary, data binary"), "packed")
+    return materialize(map_batches(d, run, "chunk string, ids binary, sizes binary, data binary"), "packed")
 
 
 def unpacked(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,11 +162,10 @@ def send_hashes(h: np.ndarray, who: np.ndarray, ranges: int, bits: int = 40) ->
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(h)) - 1
     many, h = who[at] != who[last], h[at]
-    cut = np.searchsorted(h, [(r << bits) // ranges for r in range(ranges)] + [1 << bits])
-    for r in range(ranges):
-        i, j = cut[r], cut[r + 1]
-        if j > i:
-            yield r, _deltas(h[i:j]), _pack(np.packbits(many[i:j]).tobytes())
+    r = h * ranges >> bits
+    cut = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):  # only ranges that it has hashes in
+        yield int(r[i]), _deltas(h[i:j]), _pack(np.packbits(many[i:j]).tobytes())
 
 
 def answer_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -360,8 +359,8 @@ def removed(ids: np.ndarray, ends: np.ndarray, b: np.ndarray, e: Entries, masks:
     return np.cumsum(diff[: len(b)]) > 0
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, per_range: int = RANGE) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): of every document, what stays once the strings that also stand in a smaller document are removed.
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, per_range: int = RANGE, kept: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept where it is wanted): of every document, what stays once the strings that also stand in a smaller document are removed.
 
     A null text is empty. A null id is larger than all others; rows with equal
     ids take nothing from one another. Texts of under LENGTH bytes stay whole.
@@ -398,6 +397,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     masks = materialize(sorted_runs.groupBy("r").applyInPandas(third, "chunk string, r int, masks binary"), "masks")
     told = hits.groupBy("chunk").agg(F.collect_list("hits").alias("hits")).join(masks.groupBy("chunk").agg(F.collect_list(F.struct("r", "masks")).alias("masks")), "chunk", "left")
     last = packed.join(told, "chunk", "left").select(*columns, "masks")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept]
+    types = {"kept_sha256": pa.string(), "kept": pa.binary()}
 
     def fourth(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for ids, sizes, data, hit, mask in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
@@ -412,13 +413,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             rows = []
             for s, t in zip(begin.tolist(), ends.tolist(), strict=True):
                 g = gone[s:t]
-                kept = x[s:t][~g].tobytes()
+                stays = x[s:t][~g].tobytes()
                 edge = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if t > s else 0
-                rows.append((t - s, int(g.sum()), edge, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([pa.array(i, mask=i == LAST), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((t - s, int(g.sum()), edge, hashlib.sha256(stays).hexdigest(), stays))
+            yield pa.RecordBatch.from_arrays([pa.array(i, mask=i == LAST), *(pa.array([r[k] for r in rows], types.get(name, pa.int64())) for k, name in enumerate(names))], ["doc_id", *names])
 
-    return map_arrow(last, fourth, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_arrow(last, fourth, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return spans(docs).drop("kept")
+    """spans without the bytes that stay."""
+    return spans(docs, kept=False)

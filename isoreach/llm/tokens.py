@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import map_arrow, materialize
+from isoreach.llm.common import map_arrow, map_batches, materialize, shared_dir
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The end-of-document id; the vocabulary has 50,256 ids below it.
@@ -39,64 +40,74 @@ def encoding(path: str = RANKS):
     return _encodings[path]
 
 
-def pack(docs: DataFrame, path: str = RANKS, block: int = BLOCK, file: int = FILE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Tokenise documents into flat files, kept as rows of (file, block, ids), and the order of documents in them (file, ordinal, doc_id).
+def pack(docs: DataFrame, path: str = RANKS, file: int = FILE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Tokenise documents into flat files in the shared folder; (file, size) of these, and the order of documents in them (file, ordinal, doc_id).
 
-    A document's ids run on from block to block; one that is longer than a
-    file makes its file longer. Null texts have no ids but the separator.
+    A file holds ids and separators only. It has about ``file`` ids; one
+    document is never dealt to two. Each attempt of a task writes files of its
+    own names, and only those of the one that succeeds are named in the result.
+    Null and empty texts have no ids but the separator; repeated ids keep a
+    place each.
     """
     idt = docs.schema[id_col].dataType.simpleString()
+    folder = f"{shared_dir(docs.sparkSession)}/flat-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        name, blocks, ordinal, held, total = uuid.uuid4().hex, 0, 0, np.zeros(0, np.uint16), 0
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        out, name, ordinal, total = None, "", 0, 0
 
-        def rows(kind: list, ids=None, order=None, ordinals=None) -> pa.RecordBatch:
-            n = len(kind)
-            return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(kind, pa.int32()), pa.array(ids if ids is not None else [None] * n, pa.binary()), order if order is not None else pa.nulls(n, b.schema.field(0).type), pa.array(ordinals if ordinals is not None else [None] * n, pa.int64())], ["file", "block", "ids", "doc_id", "ordinal"])
+        def rows(ids: pa.Array, ordinals: list[int] | None, size: int | None) -> pa.RecordBatch:
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([size] * n, pa.int64()), ids, pa.array(ordinals or [None] * n, pa.int64())], ["file", "size", "doc_id", "ordinal"])
 
         for b in batches:
             texts = b.column(1).to_pylist()
-            at = 0
             for i in range(0, len(texts), 128):
-                parts = [held]
-                for t in texts[i : i + 128]:
-                    parts.append(np.array([*(enc.encode_ordinary(t) if t else ()), EOD], np.uint16))
-                    total += len(parts[-1])
-                held = np.concatenate(parts)
-                full = len(held) // block
-                if full:
-                    yield rows(list(range(blocks, blocks + full)), [held[k * block : (k + 1) * block].tobytes() for k in range(full)])
-                    blocks, held = blocks + full, held[full * block :]
+                if out is None:
+                    name, ordinal, total = f"{uuid.uuid4().hex}.bin", 0, 0
+                    out = fs.open_output_stream(f"{root}/{name}")
+                part = texts[i : i + 128]
+                for t in part:
+                    ids = np.array([*(enc.encode_ordinary(t) if t else ()), EOD], "<u2")
+                    out.write(ids.tobytes())
+                    total += len(ids)
+                yield rows(b.column(0).slice(i, len(part)), list(range(ordinal, ordinal + len(part))), None)
+                ordinal += len(part)
                 if total >= file:
-                    end = min(i + 128, len(texts))
-                    yield rows([-1] * (end - at), None, b.column(0).slice(at, end - at), list(range(ordinal, ordinal + end - at)))
-                    if len(held):
-                        yield rows([blocks], [held.tobytes()])
-                    name, blocks, ordinal, held, total, at = uuid.uuid4().hex, 0, 0, np.zeros(0, np.uint16), 0, end
-            if at < len(texts):
-                yield rows([-1] * (len(texts) - at), None, b.column(0).slice(at), list(range(ordinal, ordinal + len(texts) - at)))
-                ordinal += len(texts) - at
-        if len(held):
-            yield rows([blocks], [held.tobytes()])
+                    out.close()
+                    out = None
+                    yield rows(pa.nulls(1, b.column(0).type), None, 2 * total)
+        if out is not None:
+            out.close()
+            yield rows(pa.nulls(1, b.column(0).type), None, 2 * total)
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = materialize(d.mapInArrow(run, f"file string, block int, ids binary, doc_id {idt}, ordinal long"), "tokens")
-    return out.filter("block >= 0").select("file", "block", "ids"), out.filter("block < 0").select("file", "ordinal", "doc_id")
+    out = materialize(map_batches(d, run, f"file string, size long, doc_id {idt}, ordinal long"), "tokens")
+    return out.filter("size IS NOT NULL").select(F.concat(F.lit(f"{folder}/"), "file").alias("file"), "size"), out.filter("size IS NULL").select(F.concat(F.lit(f"{folder}/"), "file").alias("file"), "ordinal", "doc_id")
 
 
-def read_flat(spark: SparkSession, sizes: dict[str, int], block: int = BLOCK) -> DataFrame:
-    """(file, block, ids) of flat files on a mount that all executors have; sizes: bytes by path. Each task seeks to its blocks."""
-    rows = [(p, k) for p, n in sizes.items() for k in range(-(-n // (2 * block)))]
-    plan = spark.createDataFrame(rows or [("", -1)], "file string, block int").filter("block >= 0").repartition("file", "block")
+def read_flat(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(file, block, ids) of flat files (file, size in bytes): each task seeks to its blocks and reads these bytes alone.
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            with open(p, "rb") as f:
-                f.seek(2 * block * k)
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([k], pa.int32()), pa.array([f.read(2 * block)], pa.binary())], ["file", "block", "ids"])
+    file is an address that pyarrow.fs can open from all executors. A file may
+    be of any size; what a task reads doesn't depend on where files end.
+    """
+    n = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-n // (64 * 2 * block)))
+    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (2 * block)) - 1)
+    plan = files.filter("size > 0").select("file", F.explode(parts).cast("int").alias("block")).repartition(tasks, "file", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, at = FileSystem.from_uri(p)
+                with fs.open_input_file(at) as f:
+                    f.seek(2 * block * k)
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([k], pa.int32()), pa.array([f.read(2 * block)], pa.binary())], ["file", "block", "ids"])
 
-    return map_arrow(plan, run, "file string, block int, ids binary")
+    return map_batches(plan, run, "file string, block int, ids binary")
 
 
 def count(blocks: DataFrame, eod: int = EOD) -> DataFrame:
@@ -129,7 +140,7 @@ def count(blocks: DataFrame, eod: int = EOD) -> DataFrame:
     return s.select("file", "done", F.posexplode(F.concat(first, inner, rest)).alias("pos", "n_tokens")).select("file", (F.col("done") + F.col("pos")).alias("ordinal"), "n_tokens")
 
 
-def token_counts(docs: DataFrame, path: str = RANKS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_tokens) of every row: packed into flat files, then counted from these alone; the order of documents gives the ids back. Null and empty texts have 0."""
-    blocks, order = pack(docs, path, block)
-    return order.join(count(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens")
+def token_counts(docs: DataFrame, path: str = RANKS, block: int = BLOCK, file: int = FILE) -> DataFrame:
+    """(doc_id, n_tokens) of every row: packed into flat files, then counted from these alone; the order of documents gives the ids back. Null and empty texts have 0; repeated rows one count each; a text may be longer than a block or a file."""
+    files, order = pack(docs, path, file)
+    return order.join(count(read_flat(files, block)), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.common import materialize
+from isoreach.llm.common import hot_join, map_batches, materialize
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Raw bytes of records after which a new archive begins.
@@ -40,11 +40,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def page_uri(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def page_uri(page_id: int | None) -> str:
+    """A page without an id has an empty one."""
+    return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None = None, at: str = "1970-01-01T00:00:00Z") -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None = None, at: str = "1970-01-01T00:00:00Z") -> bytes:
     """The bytes of a response, or of a revisit where refers_to is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
@@ -85,6 +86,26 @@ class Writer:
         return b"".join(self.parts)
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the frame at a byte ends, by its block headers, so that no other byte of the archive is touched."""
+    try:
+        p = at + zstandard.frame_header_size(data[at : at + 18])
+    except zstandard.ZstdError as e:
+        raise WarcError(f"frame at byte {at}: {e}") from e
+    while True:
+        head = int.from_bytes(data[p : p + 3], "little")
+        size = 1 if head >> 1 & 3 == 1 else head >> 3  # a run is one byte
+        p += 3 + size
+        if p > len(data):
+            raise WarcError(f"the frame at byte {at} is cut off")
+        if head & 1:
+            break
+    p += 4 * (data[at + 4] >> 2 & 1)  # the checksum
+    if p > len(data):
+        raise WarcError(f"the frame at byte {at} is cut off")
+    return p
+
+
 def frames(data: bytes) -> Iterator[bytes]:
     """The decoded frames of an archive, each checked by its checksum. The dictionary may itself be a frame."""
     at, d = 0, None
@@ -97,7 +118,6 @@ def frames(data: bytes) -> Iterator[bytes]:
             raw = zstandard.ZstdDecompressor().decompress(raw)
         d, at = zstandard.ZstdCompressionDict(raw), 8 + n
     z = zstandard.ZstdDecompressor(dict_data=d)
-    view = memoryview(data)
     while at < len(data):
         if at + 4 > len(data):
             raise WarcError("bytes after the last frame")
@@ -107,15 +127,16 @@ def frames(data: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
+        end = frame_end(data, at)
         o = z.decompressobj()
         try:
-            out = o.decompress(view[at:])
+            out = o.decompress(data[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"frame at byte {at}: {e}") from e
-        if not o.eof:
+        if not o.eof or o.unused_data:
             raise WarcError(f"the frame at byte {at} is cut off")
         yield out
-        at = len(data) - len(o.unused_data)
+        at = end
 
 
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
@@ -151,32 +172,35 @@ def read_record(rec: bytes) -> dict:
     if not sep or not length:
         raise WarcError("no HTTP head")
     n, told = int(length[1]), h["warc-payload-digest"].removeprefix("sha1:")
-    ids = [re.fullmatch(r"<urn:page:(-?\d+)>", h[k]) if k in h else None for k in ("warc-record-id", "warc-refers-to")]
+    ids = [re.fullmatch(r"<urn:page:(-?\d+)?>", h[k]) if k in h else None for k in ("warc-record-id", "warc-refers-to")]
     if h["warc-type"] == "response":
         if len(body) != n:
             raise WarcError("the payload's length differs from the HTTP head")
         if digest(body) != told:
             raise WarcError("the payload's digest differs")
-    elif h["warc-type"] != "revisit" or body or not ids[1]:
+    elif h["warc-type"] != "revisit" or body or not ids[1] or not ids[1][1]:
         raise WarcError("neither a response nor a sound revisit")
-    return {"page_id": int(ids[0][1]), "url": h.get("warc-target-uri", ""), "payload": body if h["warc-type"] == "response" else None, "payload_bytes": n, "payload_digest": told, "record_type": h["warc-type"], "refers_to": int(ids[1][1]) if ids[1] else None}
+    if not ids[0]:
+        raise WarcError("the record's id names no page")
+    return {"page_id": None if ids[0][1] is None else int(ids[0][1]), "url": h.get("warc-target-uri", ""), "payload": body if h["warc-type"] == "response" else None, "payload_bytes": n, "payload_digest": told, "record_type": h["warc-type"], "refers_to": int(ids[1][1]) if ids[1] else None}
 
 
 def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages with the page that each row revisits, or null.
+    """pages with the page that each row revisits, or null. A null page_id is larger than all others, and revisits nothing where its payload has no other.
 
-    Only ids and digests are grouped; the html meets the result by page, so a
-    payload that a third of all pages share makes no hot partition of html.
+    Only digests are grouped, with partial counts; of a payload that many pages
+    share the rows meet a broadcast of the few such digests where they lie, so
+    it makes no hot partition of html.
     """
-    keyed = pages.select("page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("d"), F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("n")).filter((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
-    low = keyed.groupBy("d").agg(F.min("page_id").alias("refers_to"))
-    later = keyed.join(low, "d").filter("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
-    mine = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    return pages.withColumn("__d", mine).join(later.withColumnRenamed("d", "__d"), ["page_id", "__d"], "left").drop("__d")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    keyed = pages.withColumn("__d", F.sha1(html.cast("binary")))
+    low = keyed.filter(F.octet_length(html) >= min_bytes).groupBy("__d").agg(F.min("page_id").alias("__low"), F.count("*").alias("__n")).filter("__n > 1")
+    later = F.col("__low").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("__low")))
+    return hot_join(keyed, low, "__d", "__n", "left").select("page_id", "url", "html", F.when(later, F.col("__low")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, records, data) of pages (page_id, url, html). Rows without a page_id can't be named and are an error."""
+    """(archive, records, data) of pages (page_id, url, html). A row without a page_id has a record of an empty one."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     n = p.count()
     chosen = F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // (4 * DICT_PAGES)))) == 0
@@ -198,8 +222,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
         if w.records:
             yield out(w)
 
-    named = plan_revisits(p, min_bytes).select(F.when(F.col("page_id").isNull(), F.raise_error(F.lit("a page has no page_id")).cast("long")).otherwise(F.col("page_id")).alias("page_id"), "url", "html", "refers_to")
-    return named.mapInArrow(run, "archive string, records long, data binary")
+    return map_batches(plan_revisits(p, min_bytes), run, "archive string, records long, data binary")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -215,7 +238,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     raise WarcError(f"{len(found)} records of {n}")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], types.get(k, pa.string())) for k in names], names)
 
-    return archives.select("records", "data").mapInArrow(run, ", ".join(f"{k} {'long' if types.get(k) == pa.int64() else 'binary' if k == 'payload' else 'string'}" for k in names))
+    return map_batches(archives.select("records", "data"), run, ", ".join(f"{k} {'long' if types.get(k) == pa.int64() else 'binary' if k == 'payload' else 'string'}" for k in names))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -223,7 +246,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload; empty payloads revisit like others.
     Repeated rows of a page are records each; with the smallest id all of them
-    are responses.
+    are responses. Rows without a page_id are kept, as revisits of the page
+    with the smallest id that has their payload, else as responses. Payloads
+    may be of any length, and other columns play no part.
     """
     return read_archives(materialize(write_archives(pages), "warc"), payloads=False).drop("url")
 
@@ -232,5 +257,5 @@ SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(ht
 f AS (SELECT d, min(page_id) AS low FROM p GROUP BY 1)
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(d, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
-CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
+CASE WHEN page_id = low OR low IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
 FROM p JOIN f USING (d)"""

@@ -27,6 +27,50 @@ def test_viterbi():
         assert abs(value(s, m.path(s), 3.0) - brute_path(s, 3.0)) < 1e-4
 
 
+def test_viterbi_of_all_paths():
+    """Few words and any penalty, the best of all paths; two stretches that pay together but not alone too."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    cases = [(np.array([[2.8, -10, 0], [-10, 2.8, 0]], np.float32), 3.0)]
+    for _ in range(2000):
+        s = rng.normal(0, 3, (rng.integers(1, 6), rng.integers(1, 4))).round(1).astype(np.float32)
+        cases.append((s, float(rng.choice([1, 3, 6]))))
+    for s, penalty in cases:
+        m = langid.Model(["a", "b", "c"][: s.shape[1]], None, None, penalty=penalty)
+        best = max(value(s, p, penalty) for p in itertools.product(range(s.shape[1]), repeat=len(s)))
+        assert abs(value(s, m.path(s), penalty) - best) < 1e-4
+    assert langid.Model(["a", "b", "c"], None, None, penalty=3.0).path(cases[0][0]).tolist() == [0, 1]
+
+
+def test_identify_by_brute_force(spark):
+    """Each row's language and share from a path over all words by plain dynamic programming."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", F.lit(0.5).alias("score"), F.lit("x").alias("lang_pred"))
+    long = " ".join(["the of and to in"] * 30_000)
+    docs = docs.unionByName(spark.createDataFrame([(10**9, long, None, 0.0, ""), (10**9 + 1, "½ ② ³ 12", None, 0.0, "")], docs.schema))
+    model = langid.fit(docs, langid.crc_rest("doc_id", 5) != 0)
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in docs.collect():
+        words = (r["text"] or "").lower().split()
+        s, has = model.scores(words) if words else (None, np.zeros(0, bool))
+        if not has.any():
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        v, back = s[0].astype(float), []
+        for t in range(1, len(s)):
+            step = v[:, None] - model.penalty * (1 - np.eye(len(v)))
+            back.append(step.argmax(0))
+            v = step.max(0) + s[t]
+        k, path = int(v.argmax()), []
+        for b in [*back[::-1], None]:
+            path.append(k)
+            k = int(b[k]) if b is not None else k
+        count = np.bincount(np.array(path[::-1])[has], minlength=len(model.langs))
+        assert count[model.langs.index(got[r["doc_id"]]["lang_pred"])] == count.max()
+        assert 0 <= got[r["doc_id"]]["score"] <= count.max() / count.sum() + 1e-9
+    assert got[10**9 + 1]["lang_pred"] == "und" and got[10**9]["lang_pred"] != "und"
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")

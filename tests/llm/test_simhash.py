@@ -79,3 +79,24 @@ def test_forest24_is_forest():
     n = rng.permutation(len(v)).astype(np.int64)
     a, b = simhash.forest(v.astype(np.uint64), n), simhash.forest24(v, n)
     assert dict(zip(*map(list, a), strict=True)) == dict(zip(*map(list, b), strict=True))
+
+
+def test_components_of_long_paths(spark):
+    """A path of nodes in mixed order, a hub of many, and their hub joins by broadcast."""
+    rng = np.random.default_rng(3)
+    order = rng.permutation(400).tolist()
+    edges = list(zip(order[:-1], order[1:], strict=True)) + [(1000, k) for k in range(1001, 1300)]
+    got = {r[0]: r[1] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 400), 0), **dict.fromkeys(range(1001, 1300), 1000)}
+
+
+def test_hot_join(spark, monkeypatch):
+    """Keys over the bound meet a broadcast, the others a shuffle; inner and left give what a plain join gives."""
+    from isoreach.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    big = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(60)] + [(99, 1), (None, 2)], "k long, x long")
+    small = big.filter("k <> 99").groupBy("k").agg({"x": "min", "*": "count"}).toDF("k", "n", "low")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).select("k", "x", "n", "low").collect()))
+        assert sorted(map(str, common.hot_join(big, small, "k", "n", how).select("k", "x", "n", "low").collect())) == want

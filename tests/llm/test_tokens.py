@@ -20,10 +20,11 @@ def test_flat_files(spark, tmp_path):
     sizes = {}
     for i, c in enumerate(cases):
         (tmp_path / f"f{i}").write_bytes(np.array(c, "<u2").tobytes())
-        sizes[str(tmp_path / f"f{i}")] = 2 * len(c)
+        sizes[f"file://{tmp_path}/f{i}"] = 2 * len(c)
+    files = spark.createDataFrame(list(sizes.items()), "file string, size long")
     for block in (1, 4, 10, 100):
         got: dict = {}
-        for r in tokens.count(tokens.read_flat(spark, sizes, block)).collect():
+        for r in tokens.count(tokens.read_flat(files, block)).collect():
             got.setdefault(r["file"], {})[r["ordinal"]] = r["n_tokens"]
         for (p, _), c in zip(sizes.items(), cases, strict=True):
             have = got.get(p, {})
@@ -39,7 +40,12 @@ def test_documents(spark, monkeypatch):
         assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in tokens.token_counts(docs, block=block).collect()) == want
     assert tokens.token_counts(docs.limit(0)).count() == 0
     many = spark.range(500).selectExpr("id AS doc_id", "repeat('tok ', cast(id % 37 as int)) AS text")
-    blocks, order = tokens.pack(many.coalesce(1), block=8, file=1000)
-    assert blocks.select("file").distinct().count() > 3
-    got = {r["doc_id"]: r["n_tokens"] for r in order.join(tokens.count(blocks), ["file", "ordinal"]).collect()}
+    files, order = tokens.pack(many.coalesce(1), file=1000)
+    paths = {r["file"]: r["size"] for r in files.collect()}
+    assert len(paths) > 3
+    for p, n in paths.items():  # true flat files: ids and separators, nothing else
+        ids = np.fromfile(p.removeprefix("file://"), "<u2")
+        want = [len(enc.encode_ordinary("tok " * (r["doc_id"] % 37))) for r in order.filter(order.file == p).orderBy("ordinal").collect()]
+        assert 2 * len(ids) == n and brute(ids.tolist()) == want
+    got = {r["doc_id"]: r["n_tokens"] for r in order.join(tokens.count(tokens.read_flat(files, 8)), ["file", "ordinal"]).collect()}
     assert got == {i: len(enc.encode_ordinary("tok " * (i % 37))) for i in range(500)}

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from isoreach.llm import warc
 
@@ -42,3 +43,25 @@ def test_format():
     for bad in (b"", recs[0].replace(b"WARC/1.1", b"HTTP/1.1"), recs[0].replace(b"abc", b"abd"), recs[0].replace(b"WARC-Date", b"WARC-Dat"), recs[0][:-1], recs[0].replace(b"Content-Length: 3", b"Content-Length: 4"), recs[0].replace(b"WARC-Type: response", b"WARC-Type: revisit")):
         with pytest.raises(warc.WarcError):
             warc.read_record(bad)
+
+
+def test_null_pages(spark):
+    """Rows without an id are kept: revisits of the smallest id with their payload, else responses; columns that clash play no part."""
+    rows = [(None, "a", "same", "x"), (4, "b", "same", "y"), (6, None, "same", "z"), (None, "c", "other", None), (None, "c", "other", None), (2, "d", "long " * 200_000, "w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string").withColumn("records", F.lit(3))
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()), key=str)
+    assert got == sorted([(0, 4, "revisit", 4), (4, 4, "response", None), (6, 4, "revisit", 4), (0, 5, "response", None), (0, 5, "response", None), (2, 1_000_000, "response", None)], key=str)
+
+
+def test_frame_ends():
+    """Of frames of any content, with and without checksums, the end is found by block headers."""
+    import random
+
+    import zstandard
+
+    r = random.Random(1)
+    for n in (0, 1, 100, 70_000, 400_000):
+        for raw in (b"a" * n, r.randbytes(n), b"".join(r.choice([b"ab ", b"cde "]) for _ in range(n // 3))):
+            for check in (False, True):
+                f = zstandard.ZstdCompressor(write_checksum=check).compress(raw)
+                assert warc.frame_end(b"xyz" + f + b"more", 3) == 3 + len(f)
