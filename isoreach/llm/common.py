@@ -42,9 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it: later jobs start from files, not from lineage."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    spark._jvm.System.gc()  # shuffle files go once the driver's plans of them do
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

@@ -115,16 +115,23 @@ class Model:
         penalty more than it has stretches, and one that ends elsewhere as many;
         so none pays where no stretch of one language gains over the penalty.
         One that never has the best language pays one less than its stretches:
-        it is worth nothing where, beside that, the best beginning and the best
-        end together gain no more than the penalty. Then the path is the best
-        language throughout.
+        two gain no more than the best beginning and end that meet, and more
+        than two no more than any beginning and end and a stretch between for
+        each penalty beyond the second. Where none of these pays, the path is
+        the best language throughout.
         """
         total = s.sum(0, dtype=np.float64)
         best = int(total.argmax())
         gain = np.cumsum(s.astype(np.float64) - s[:, best : best + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if not len(s) or ((gain - low).max() <= self.penalty and max(gain.max(), 0) + (gain[-1] - low).max() <= self.penalty):
-            return np.full(len(s), best)
+        most = (gain - low).max() if len(s) else 0
+        if most <= self.penalty:
+            head, tail = np.delete(gain, best, 1), np.delete(gain[-1] - gain, best, 1)  # up to a word, and after it
+            if len(s) < 2 or not head.size:
+                return np.full(len(s), best)
+            head, tail = head[:-1].max(1), tail[:-1].max(1)
+            if (head + tail).max() <= self.penalty and head.max() + tail.max() <= 2 * self.penalty - most:
+                return np.full(len(s), best)
         back = np.empty(s.shape, np.int16)
         v = np.zeros(s.shape[1])
         keep = np.arange(s.shape[1])
