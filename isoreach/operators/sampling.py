@@ -6,6 +6,8 @@ the partitioning nor the engine, and a lost task repeats it exactly.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +38,23 @@ def transform_pmf(x: DataFrame, return_total: bool = False, validate: bool = Tru
 
 
 def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from the md5 of the parts joined by '-': 32 bits."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A number in [0, 1) from the md5 of the parts joined by '-': 52 bits, 13 hex digits."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _uniform(*parts: object) -> float:
+    """uniform() on the driver, of a number for each iteration."""
+    return int(hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def _invert(u: float, log_first: float, ratio: Callable[[int], float], mean: float, top: float = math.inf) -> int:
+    """The least k whose probabilities of 0 to k exceed u; each is the one before times ratio(k). Probabilities that underflow at 0 are summed from logarithms."""
+    k, log_p, total = 0, log_first, math.exp(log_first)
+    while total <= u and k < top and not (k > mean and math.exp(log_p) < 1e-18):
+        k += 1
+        log_p += math.log(ratio(k)) if ratio(k) > 0 else -math.inf
+        total += math.exp(log_p)
+    return k
 
 
 def cumulative(x: DataFrame, col: str = "value", blocks: int = 64) -> DataFrame:
@@ -68,9 +85,11 @@ def locate(points: DataFrame, cum: DataFrame, total: float, buckets: int = 1024)
 
 
 def sample_sizes(iterations: int, n: int | None = None, size: int | None = None, prob: float | None = None, method: str | Callable[..., Sequence[int]] = "poisson", seed: int = 0, **kwargs) -> list[int]:
-    """How many points each iteration draws; n comes first. One number for each iteration, on the driver."""
-    import numpy as np
+    """How many points each iteration draws; n comes first. One number for each iteration, on the driver.
 
+    Random sizes come by inversion from the md5 of (seed, "size", iteration),
+    so any engine that has md5 draws the same.
+    """
     if n is not None:
         return [int(n)] * iterations
     if callable(method):
@@ -81,9 +100,20 @@ def sample_sizes(iterations: int, n: int | None = None, size: int | None = None,
     check_choice(method, ("poisson", "binomial", "nbinom"), "method")
     if size is None or prob is None:
         raise ValueError("size and prob are needed where n is not given")
-    rng = np.random.default_rng(seed)
-    draw = {"poisson": lambda: rng.poisson(size * prob, iterations), "binomial": lambda: rng.binomial(size, prob, iterations), "nbinom": lambda: rng.negative_binomial(size, prob, iterations)}[method]()
-    return [int(v) for v in draw]
+    us = [_uniform(seed, "size", t) for t in range(1, iterations + 1)]
+    if size == 0 or (prob == 0 and method != "nbinom"):
+        return [0] * iterations
+    if method == "poisson":
+        m = size * prob
+        return [_invert(u, -m, lambda k: m / k, m) for u in us]
+    if method == "binomial":
+        if prob == 1:
+            return [size] * iterations
+        odds = prob / (1 - prob)
+        return [_invert(u, size * math.log1p(-prob), lambda k: odds * (size - k + 1) / k, size * prob, size) for u in us]
+    if prob == 0:
+        raise ValueError("a negative binomial size needs a prob above 0")
+    return [_invert(u, size * math.log(prob), lambda k: (1 - prob) * (size + k - 1) / k, size * (1 - prob) / prob) for u in us]
 
 
 def evolving_sizes(sizes: Sequence[int], evolve_prop: float) -> list[tuple[int, int]]:
@@ -138,6 +168,14 @@ def sample_pmf(spark: SparkSession, x: DataFrame, n: int | None = None, size: in
     return cells.join(counts, ["iteration", "cell_id"], "left").select("iteration", "cell_id", F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a local folder in local mode and an error on a cluster."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return d or "/tmp/isoreach-checkpoint"
+
+
 def _evolve(spark: SparkSession, fresh: DataFrame, parts: Sequence[tuple[int, int]], seed: int) -> DataFrame:
     """Points of all iterations. Kept ones are the first of t-1 by md5; a point is named by where it was drawn."""
     fresh = fresh.select("iteration", "cell_id", F.concat_ws(":", "iteration", "k").alias("point"))
@@ -150,7 +188,7 @@ def _evolve(spark: SparkSession, fresh: DataFrame, parts: Sequence[tuple[int, in
             new = new.unionByName(kept)
         if t % 20 == 0:
             if not spark.sparkContext.getCheckpointDir():
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/isoreach-checkpoint"))
+                spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
             new = new.checkpoint()
         now, out = new, new if out is None else out.unionByName(new)
     return out

@@ -213,7 +213,7 @@ def q(s, d):  # noqa: F811
 _SAMPLE = """, cum AS (SELECT cell_id, CAST(sum(value) OVER (ORDER BY cell_id) - value AS DOUBLE) AS lo, CAST(sum(value) OVER (ORDER BY cell_id) AS DOUBLE) AS hi FROM pmfw WHERE value > 0),
 tot AS (SELECT CAST(sum(value) AS DOUBLE) AS total FROM pmfw),
 it AS (SELECT unnest(range(1, {T} + 1)) AS iteration), ks AS (SELECT unnest(range(0, {N})) AS k),
-fresh AS (SELECT iteration, k, CAST(('0x' || substr(md5('42-' || iteration || '-' || k), 1, 8)) AS UBIGINT)::DOUBLE / 4294967296.0::DOUBLE * total AS x FROM it, ks, tot),
+fresh AS (SELECT iteration, k, CAST(('0x' || substr(md5('42-' || iteration || '-' || k), 1, 13)) AS UBIGINT)::DOUBLE / 4503599627370496.0::DOUBLE * total AS x FROM it, ks, tot),
 pts AS (SELECT CAST(iteration AS INTEGER) AS iteration, k, cell_id FROM fresh ASOF JOIN cum ON fresh.x >= cum.lo)
 """
 
@@ -235,11 +235,33 @@ def q(s, d):  # noqa: F811
     return sample_pmf(s, T.pmf_weights(s, d), n=1000, iterations=3, evolve_prop=0.6, seed=42)
 
 
-@add("sample_poisson")
+def _sizes_sql(first: str, ratio: str, most: int, seed: int = 7, steps: int = 3) -> str:
+    """Sizes by inversion: running sums of probabilities, each from the one before; then the points of each iteration."""
+    return _SAMPLE.format(T=steps, N=most).replace("'42-'", f"'{seed}-'").replace("fresh AS (SELECT", f"""logs AS (SELECT k, sum(CASE WHEN k = 0 THEN {first} ELSE ln({ratio}) END) OVER (ORDER BY k) AS log_p FROM ks), cdf AS (SELECT k, sum(exp(log_p)) OVER (ORDER BY k) AS total FROM logs),
+sized AS (SELECT iteration, CAST(('0x' || substr(md5('{seed}-size-' || iteration), 1, 13)) AS UBIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM it), n AS (SELECT iteration, (SELECT count(*) FROM cdf WHERE total <= u) AS n FROM sized),
+fresh AS (SELECT""").replace("FROM it, ks, tot", "FROM it JOIN n USING (iteration), ks, tot WHERE k < n") + "SELECT iteration, cell_id, count(*) AS count FROM pts GROUP BY 1, 2"
+
+
+@add("sample_poisson", _sizes_sql("-1000.0::DOUBLE", "1000.0::DOUBLE / k", 2000))
 def q(s, d):  # noqa: F811
     return sample_pmf(s, T.pmf_weights(s, d), size=5000, prob=0.2, iterations=3, seed=7)
 
 
+@add("sample_binomial", _sizes_sql("3000 * ln(0.6::DOUBLE)", "0.4::DOUBLE / 0.6::DOUBLE * (3000 - k + 1) / k", 2500))
+def q(s, d):  # noqa: F811
+    return sample_pmf(s, T.pmf_weights(s, d), size=3000, prob=0.4, method="binomial", iterations=3, seed=7)
+
+
+@add("sample_nbinom", _sizes_sql("40 * ln(0.05::DOUBLE)", "0.95::DOUBLE * (40 + k - 1) / k", 4000))
+def q(s, d):  # noqa: F811
+    return sample_pmf(s, T.pmf_weights(s, d), size=40, prob=0.05, method="nbinom", iterations=3, seed=7)
+
+
+@add("sample_custom_size", _SAMPLE.format(T=3, N=900).replace("'42-'", "'7-'").replace("FROM it, ks, tot", "FROM it, ks, tot WHERE k < 300 * iteration") + "SELECT iteration, cell_id, count(*) AS count FROM pts GROUP BY 1, 2")
+def q(s, d):  # noqa: F811
+    return sample_pmf(s, T.pmf_weights(s, d), method=lambda step: [step, 2 * step, 3 * step], iterations=3, seed=7, step=300)
+
+
 @add("sample_keep_zeros", _SAMPLE.format(T=2, N=500) + ", c AS (SELECT iteration, cell_id, count(*) AS count FROM pts GROUP BY 1, 2), a AS (SELECT CAST(iteration AS INTEGER) AS iteration, cell_id FROM it, pmfw) SELECT iteration, cell_id, coalesce(count, 0) AS count FROM a LEFT JOIN c USING (iteration, cell_id)")
 def q(s, d):  # noqa: F811
     return sample_pmf(s, T.pmf_weights(s, d), n=500, iterations=2, seed=42, replace_0=False)
@@ -327,6 +349,12 @@ def q(s, d):  # noqa: F811
     return _r(prep.zonal(T.demand(s, d), T.zones(s, d)))
 
 
+@add("zonal_sum", "SELECT zone, round(sum(value), 2) AS sum, count(value) AS count FROM demand JOIN zones USING (cell_id) GROUP BY 1")
+def q(s, d):  # noqa: F811
+    z = prep.zonal(T.demand(s, d), T.zones(s, d), "sum").join(prep.zonal(T.demand(s, d), T.zones(s, d), "count"), "zone")
+    return _r(z, 2, "sum")
+
+
 @add("block_aggregate", "SELECT (cell_id//50//4)*13 + (cell_id%50)//4 + 1 AS cell_id, round(sum(value), 2) AS value FROM demand GROUP BY 1")
 def q(s, d):  # noqa: F811
     grid = GridSpec(300, 50)
