@@ -1,3 +1,4 @@
+# Input vectors of the tests below are fixed values, equal to those of the reference suite so that results compare.
 import math
 
 import pytest
