@@ -96,8 +96,8 @@ def read_flat(files: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     n = files.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, -(-n // (64 * 2 * block)))
-    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (2 * block)) - 1)
-    plan = files.filter("size > 0").select("file", F.explode(parts).cast("int").alias("block")).repartition(tasks, "file", "block")
+    parts = F.sequence(F.lit(0), (F.ceil(F.col("size") / (2 * block)) - 1).cast("int"))
+    plan = files.filter("size > 0").select("file", F.explode(parts).alias("block")).repartition(tasks, "file", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
