@@ -51,10 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table that materialize wrote and no later plan reads."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        drop_folder(df.sparkSession, f)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows of a key from which on, or from a 100,000th of all on, it is hot.
