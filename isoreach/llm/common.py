@@ -38,12 +38,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table in the shared folder and read it: later jobs start from files, not from lineage."""
     spark = df.sparkSession
     bound_batches(spark)
     path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     del df
     spark._jvm.System.gc()  # shuffle files go once the driver's plans of them do
     return spark.read.schema(schema).parquet(path)

@@ -522,4 +522,4 @@ def pcm_blocks(media: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Store all texts as a media column in the shared folder, then read the stored bytes back. Rows with equal texts have equal values; null is an empty text; ids may repeat or be null; a text may be of any length."""
-    return digests(materialize(media_column(docs), "media"))
+    return digests(materialize(media_column(docs), "media", "zstd"))
