@@ -69,6 +69,16 @@ def bare(word: str) -> str:
     return "".join(_LETTERS.findall(word))
 
 
+def _more(held: list[np.ndarray], n: int, rows: np.ndarray) -> None:
+    """Puts rows behind the first n of an array that grows by doubling."""
+    if not held or n + len(rows) > len(held[0]):
+        out = np.zeros((max(2 * n, n + len(rows)), rows.shape[1]), rows.dtype)
+        if held:
+            out[:n] = held[0][:n]
+        held[:] = [out]
+    held[0][n : n + len(rows)] = rows
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -77,11 +87,15 @@ class Model:
     penalty: float = PENALTY
     _seen: dict[str, int] = field(default_factory=dict, repr=False)
     _rows: list[np.ndarray] = field(default_factory=list, repr=False)
+    _n: int = field(default=0, repr=False)
+    _m: int = field(default=0, repr=False)
+    _place: dict[str, int] = field(default_factory=dict, repr=False)
+    _fits: list[np.ndarray] = field(default_factory=list, repr=False)
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words x langs scores, whether a word has letters)."""
         if len(self._seen) > CACHE:
-            self._seen, self._rows = {}, []
+            self._seen, self._rows, self._n = {}, [], 0
         seen = self._seen
         if new := list({w for w in words if w not in seen}):
             plain = [bare(w) for w in new]
@@ -98,12 +112,10 @@ class Model:
                 s -= s.max(1, keepdims=True)
                 can = self.uses[[script(plain[i][0]) for i in lettered]]
                 s = np.where(can, s, np.where(can.any(1, keepdims=True), -1e3, 0)).astype(np.float32)
-                first = 1 + sum(len(r) for r in self._rows)
-                self._rows.append(s)
+                _more(self._rows, self._n, s)
                 for j, i in enumerate(lettered):
-                    seen[new[i]] = first + j
-            if len(self._rows) > 1:
-                self._rows = [np.concatenate(self._rows)]
+                    seen[new[i]] = 1 + self._n + j
+                self._n += len(s)
         idx = np.array([seen[w] for w in words], np.int64)
         rows = self._rows[0] if self._rows else np.zeros((1, len(self.langs)), np.float32)
         return np.where((idx > 0)[:, None], rows[np.maximum(idx - 1, 0)], np.float32(0)), idx > 0
@@ -178,21 +190,33 @@ class Model:
 
     def known(self, text: str | None) -> float:
         """The share of lettered words that have a candidate language by script and whose n-grams the text's language has learned, on average, better than chance; of the language that has most."""
-        words = words_of(text)
-        plain = [p for p in map(bare, words) if p]
-        if not plain or not self.langs:
+        count = Counter(words_of(text))
+        if not count or not self.langs:
+            return 0.0
+        place, fits = self.fits(list(count))
+        weight = np.fromiter(count.values(), np.float64, len(count))[place >= 0]
+        if not len(weight):
             return 0.0
-        kinds = list(dict.fromkeys(plain))
-        can = self.uses[[script(p[0]) for p in kinds]]
-        g, who = _grams(kinds)
-        # nats of an n-gram over one that was never seen and all are as likely
-        gain = self.table[g] + np.log(BUCKETS)
-        n = np.bincount(who, minlength=len(kinds))
-        each = np.stack([np.bincount(who, weights=gain[:, k], minlength=len(kinds)) / n for k in range(len(self.langs))], 1)
-        count = Counter(plain)
-        weight = np.array([count[w] for w in kinds], np.float64)
-        ok = can & (each > 0)
-        return float((weight[:, None] * ok).sum(0).max() / weight.sum())
+        return float((weight[:, None] * fits[place[place >= 0]]).sum(0).max() / weight.sum())
+
+    def fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its row, -1 without letters; and the rows: whether a word can be of a language and its n-grams are learned there, on average, better than chance. Words met are kept."""
+        if len(self._place) > CACHE:
+            self._place, self._fits, self._m = {}, [np.zeros((0, len(self.langs)), bool)], 0
+        place = self._place
+        new = {w: bare(w) for w in words if w not in place}
+        if kinds := [p for p in new.values() if p]:
+            can = self.uses[[script(p[0]) for p in kinds]]
+            g, who = _grams(kinds)
+            # nats of an n-gram over one that was never seen and all are as likely
+            gain = self.table[g] + np.log(BUCKETS)
+            n = np.bincount(who, minlength=len(kinds))
+            each = np.stack([np.bincount(who, weights=gain[:, k], minlength=len(kinds)) / n for k in range(len(self.langs))], 1)
+            _more(self._fits, self._m, can & (each > 0))
+        for w, p in new.items():
+            place[w] = self._m if p else -1
+            self._m += bool(p)
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words)), self._fits[0] if self._fits else np.zeros((0, len(self.langs)), bool)
 
 
 def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
