@@ -87,3 +87,17 @@ def test_source(spark):
     assert read_example(spark, SF, "region").count() == 5
     with pytest.raises(ValueError, match="available"):
         read_example(spark, SF, "none")
+
+
+def tasks_of(df):
+    """How many tasks the rows of a result come from."""
+    return df.groupBy(F.spark_partition_id().alias("p")).count().count()
+
+
+def test_pairs_are_made_on_all_cores(spark):
+    """Cells of one small file, which is one task, meet facilities in many."""
+    c = spark.range(2000).selectExpr("id AS cell_id", "CAST(id % 40 AS double) AS x", "CAST(id % 30 AS double) AS y").coalesce(1)
+    f = spark.range(20).selectExpr("id AS facility_id", "CAST(id AS double) AS x", "CAST(id AS double) AS y")
+    d = prep.euclidean_distance(c, f, 10)
+    far = c.crossJoin(f.toDF("facility_id", "u", "v")).filter("(x - u) * (x - u) + (y - v) * (y - v) <= 100").count()
+    assert tasks_of(d) > 4 and d.count() == far
