@@ -101,3 +101,30 @@ def test_pairs_are_made_on_all_cores(spark):
     d = prep.euclidean_distance(c, f, 10)
     far = c.crossJoin(f.toDF("facility_id", "u", "v")).filter("(x - u) * (x - u) + (y - v) * (y - v) <= 100").count()
     assert tasks_of(d) > 4 and d.count() == far
+
+
+def test_zones_are_laid_on_all_cores(spark):
+    """As above, for cells and zones, whose sums for cells in one zone are not shuffled."""
+    c = spark.range(2000).selectExpr("id AS cell_id").coalesce(1)
+    tiles = c.selectExpr("cell_id", "cell_id % 3 AS zone")
+    z = prep.rasterize_zones(tiles, spark.range(300).selectExpr("id AS location_id", "id % 3 AS zone", "CAST(id AS double) AS value"))
+    assert tasks_of(z) > 4 and z.count() == 2000 * 100
+
+
+def test_zones_of_cells_in_several(spark):
+    """Sums over repeated tiles, repeated values, cells and layers in several zones, and missing values; whole numbers stay so."""
+    tiles = [(c, z) for c, zs in {1: [0], 2: [0, 1], 3: [1, 1], 4: [0, 1, 1, 2], 5: [None], 6: [9], None: [0, 1]}.items() for z in zs]
+    values = [(0, "a", 3), (0, "a", 4), (1, "a", 5), (1, "b", 7), (2, "b", None), (2, "c", None), (1, None, 2), (None, "a", 1)]
+    want = {}
+    for c, z in tiles:
+        for y, k, v in values:
+            if z is not None and z == y:
+                want.setdefault((c, k), []).append(v)
+    want = {k: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in want.items()}
+    t = spark.createDataFrame(tiles, "cell_id int, zone int")
+    for kind in ("long", "double", "decimal(9,2)"):
+        v = spark.createDataFrame(values, "zone int, location_id string, value int").withColumn("value", F.col("value").cast(kind))
+        got = prep.rasterize_zones(t, v)
+        rows = got.collect()
+        assert {(r["cell_id"], r["facility_id"]): r["value"] for r in rows} == want and len(rows) == len(want)
+        assert got.dtypes[2][1] == v.agg(F.sum("value")).dtypes[0][1]
