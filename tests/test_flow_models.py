@@ -1,4 +1,6 @@
 # Input vectors of the tests below are fixed values, equal to those of the reference suite so that results compare.
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,31 @@ def test_summary(spark):
     assert [row["q25"], row["sd"], row["coverage"]] == pytest.approx([np.quantile(xs, 0.25), xs.std(ddof=1), 0.75])
     assert s["facilities"].filter("measure = 'doctors'").first()["total"] == 25
     assert "E2SFCA" in format_summary(s) and "gaussian" in format_result(r) and "doctors" in str(r)
+
+
+def test_ifca_steps_leave_pairs_where_they_are(spark, monkeypatch):
+    """A step shuffles sums of facilities only: neither the pairs nor the demand of cells move, and the pairs aren't sorted again."""
+    module, seen = sys.modules["isoreach.plans.ifca"], []
+    keep = module.utilization
+    monkeypatch.setattr(module, "utilization", lambda *a: (seen.append(keep(*a)), seen[-1])[1])
+    dist = spark.range(4000).selectExpr("id % 400 AS cell_id", "id % 7 AS facility_id", "CAST(id % 50 AS double) AS value").dropDuplicates(["cell_id", "facility_id"])
+    demand = spark.range(400).selectExpr("id AS cell_id", "CAST(id AS double) AS value")
+    sup = spark.range(7).selectExpr("id AS facility_id", "CAST(id AS double) AS supply")
+    r = ifca(spark, dist, demand, sup, max_iter=4)
+    assert len(seen) == 3 and r.facilities.count() == 7
+    for df in seen:
+        step = df._jdf.queryExecution().executedPlan().toString().partition("InMemoryRelation")[0]
+        assert step.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(facility_id" in step and "SortMergeJoin" not in step
+    access = r.accessibility._jdf.queryExecution().executedPlan().toString()
+    assert access.count("Exchange hashpartitioning(facility_id") <= 2  # facilities meet their state; no pairs
+
+
+def test_ifca_of_demand_in_several_rows_and_no_supply(spark):
+    """Rows of one cell add up; without any supply all is zero."""
+    dist = spark.createDataFrame([(1, "a", 10.0), (1, "b", 20.0), (2, "a", 5.0), (2, "b", 40.0)], "cell_id int, facility_id string, value double")
+    sup = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("z", 0.0)], "facility_id string, supply double")
+    once, twice = (spark.createDataFrame(x, "cell_id int, value double") for x in ([(1, 9.0), (2, 4.0)], [(1, 5.0), (2, 4.0), (1, 4.0), (3, 1.0), (1, None)]))
+    a, b = ({x["facility_id"]: tuple(x)[1:] for x in ifca(spark, dist, d, sup, max_iter=4).facilities.collect()} for d in (once, twice))
+    assert set(a) == {"a", "b", "z"} and all(b[k] == pytest.approx(a[k]) for k in a) and a["z"] == (0.0, 0.0, 0.0, 0.0)
+    none = ifca(spark, dist, once, sup.withColumn("supply", sup.supply * 0), max_iter=3)
+    assert [tuple(x)[1:] for x in none.facilities.collect()] == [(0.0, 0.0, 0.0, 0.0)] * 3
